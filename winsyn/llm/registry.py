@@ -6,6 +6,7 @@ from importlib import import_module
 
 _NAMES = {
     "op1_suffix_dedup": "suffix_dedup",
+    "op10_minhash_dedup": "minhash_dedup",
 }
 
 
