@@ -7,6 +7,9 @@ from importlib import import_module
 _NAMES = {
     "op1_suffix_dedup": "suffix_dedup",
     "op10_minhash_dedup": "minhash_dedup",
+    "op2_warc": "warc",
+    "op4_topk_search": "topk_search",
+    "op5_sharding": "sharding",
 }
 
 
