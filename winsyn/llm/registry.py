@@ -10,6 +10,7 @@ _NAMES = {
     "op2_warc": "warc",
     "op4_topk_search": "topk_search",
     "op5_sharding": "sharding",
+    "op7_packing": "packing",
 }
 
 
