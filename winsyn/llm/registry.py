@@ -11,6 +11,7 @@ _NAMES = {
     "op4_topk_search": "topk_search",
     "op5_sharding": "sharding",
     "op7_packing": "packing",
+    "op9_byte_bpe": "byte_bpe",
 }
 
 
