@@ -12,6 +12,7 @@ _NAMES = {
     "op5_sharding": "sharding",
     "op7_packing": "packing",
     "op9_byte_bpe": "byte_bpe",
+    "op3_language_id": "language_id",
 }
 
 
