@@ -46,6 +46,8 @@ class Scratch:
         """Write ``df`` and read it again: the plan above starts from files."""
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
+        # Spark deletes the shuffle files of a finished plan when the driver collects its garbage
+        self.spark._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         out._winsyn_path = path
         return out

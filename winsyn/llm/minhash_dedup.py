@@ -220,7 +220,10 @@ def in_blocks(df: DataFrame, key: str, size: str, node: str) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT, miss: float = MISS, scratch: Scratch | None = None) -> DataFrame:
-    """One row per input row: its id, ``text_hash`` (xxhash64, null as empty), ``n_shingles, component_id, kept``."""
+    """One row per input row: its id, ``text_hash`` (xxhash64, null as empty), ``n_shingles, component_id, kept``.
+
+    ``group`` names the component even where all its ids are null; it is null for empty sets.
+    """
     spark = df.sparkSession
     scratch = scratch or Scratch(spark, "minhash")
     least = least_matches(percent, miss)
@@ -313,11 +316,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     groups = some.groupBy("node").agg(F.min("id").alias("least")).join(parts, "node", "left")
     groups = groups.select("node", "least", F.coalesce("component", "node").alias("component"))
     names = groups.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.cut(groups.join(names, "component").select("node", "component_id"), "named")
-    out = signed.join(named, "node", "left").select("id", "text_hash", "n", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = scratch.cut(groups.join(names, "component").select("node", "component", "component_id"), "named")
+    out = signed.join(named, "node", "left").select("id", "text_hash", "n", "component", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
     out = out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
-    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), "component_id", "kept")
+    return out.select(F.col("id").alias(id_col), "text_hash", F.col("n").alias("n_shingles"), "component_id", "kept", F.col("component").alias("group"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 5, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df`` without near-duplicates: each group keeps its smallest id (null last; then by text hash)."""
+    found = near_duplicates(df, id_col, text, width, percent)
+    key = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("text_hash"))
+    best = found.where("group is not null").groupBy("group").agg(F.min(key).alias("k")).select("k.id", "k.text_hash")
+    times = found.where("group is not null").groupBy(F.col(id_col).alias("id"), "text_hash").agg(F.count("*").alias("times"))
+    empty = found.where("group is null").select(F.col(id_col).alias("id"), "text_hash").distinct().withColumn("times", F.lit(1))
+    chosen = best.join(times, best["id"].eqNullSafe(times["id"]) & (best["text_hash"] == times["text_hash"])).select(best["id"], best["text_hash"], "times").union(empty)
+    chosen = chosen.select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"), "times")
+    rows = df.withColumn("__hash0", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.join(chosen, (F.col("__hash0") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")))
+    once = rows.where("times = 1").select(*df.columns)
+    return once.union(rows.where("times > 1").dropDuplicates(["__id", "__hash"]).select(*df.columns))
 
 
 def op10_minhash_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("text_hash", "group")

@@ -13,6 +13,8 @@ _NAMES = {
     "op7_packing": "packing",
     "op9_byte_bpe": "byte_bpe",
     "op3_language_id": "language_id",
+    "op6_embedding_dedup": "embedding_dedup",
+    "op8_line_dedup": "line_dedup",
 }
 
 

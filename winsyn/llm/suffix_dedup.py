@@ -252,8 +252,11 @@ def _heard(keys: np.ndarray, answers: pa.Table, number: int, shards: int) -> np.
     return out
 
 
-def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
-    """Every row with ``n_bytes, n_removed, n_spans, kept (binary), kept_sha256`` added."""
+def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, replace: bool = False, scratch: Scratch | None = None) -> DataFrame:
+    """Every row with ``n_bytes, n_removed, n_spans, kept (binary), kept_sha256`` added.
+
+    With ``replace`` the text becomes what is kept of it, without characters that a span cut in two.
+    """
     spark = df.sparkSession
     scratch = scratch or Scratch(spark, "suffix")
     added = T.StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
@@ -305,7 +308,8 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, scra
                     parts.append(t[at:s])
                     at = e
                 kept[i] = b"".join([*parts, t[at:]])
-        out = [batch.rows.column(f.name) for f in columns]
+        texts = pa.array([t.decode("utf-8", "ignore") for t in kept], pa.string()) if replace else None
+        out = [texts if replace and f.name == text else batch.rows.column(f.name) for f in columns]
         out += [pa.array([len(t) for t in batch.texts], pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
         return pa.Table.from_arrays(out, names=result.names)
 
