@@ -26,6 +26,12 @@ def raw_hash(x: Column, r: int, seed: int = 1) -> Column:
     return F.pmod(x.cast("long") * F.lit(a).cast("long") + F.lit(b).cast("long"), F.lit(PRIME).cast("long"))
 
 
+def mixed_hash(x: Column, r: int, seed: int = 1) -> Column:
+    """Two rounds with a fold of the high bits between: runs of integers leave no pattern in single bits."""
+    y = raw_hash(x, r, seed)
+    return raw_hash(y.bitwiseXOR(F.shiftright(y, 15)), r + 900, seed)
+
+
 def bucket_hash(x: Column, r: int, width: int, seed: int = 1) -> Column:
     return F.pmod(raw_hash(x, r, seed), F.lit(width).cast("long"))
 
@@ -65,7 +71,7 @@ def hll_registers(df: DataFrame, by: list[str], x: str, log_m: int, seed: int =
     if not 4 <= log_m <= 16:
         raise ValueError("log_m from 4 to 16")
     m = 1 << log_m
-    h = raw_hash(F.col(x), 0, seed)
+    h = mixed_hash(F.col(x), 0, seed)
     rest = F.shiftright(h, log_m)
     rho = F.when(rest == 0, F.lit(31 - log_m + 1)).otherwise(F.bit_count(rest.bitwiseAND(-rest) - 1) + 1)
     return df.where(F.col(x).isNotNull()).groupBy(*by, F.pmod(h, F.lit(m).cast("long")).alias("reg")).agg(F.max(rho).alias("rho"))
@@ -159,7 +165,9 @@ def dd_collapse(bins: DataFrame, by: list[str], max_bins: int) -> DataFrame:
     top = W.partitionBy(*by).orderBy(F.desc_nulls_last("bin"))
     ranked = bins.withColumn("k", F.row_number().over(top))
     floor_ = F.min(F.when(F.col("k") <= max_bins, F.col("bin"))).over(W.partitionBy(*by))
-    return ranked.withColumn("bin", F.greatest("bin", floor_) if max_bins else F.col("bin")).withColumn("bin", F.when(F.col("k").isNotNull(), F.col("bin"))).groupBy(*by, "bin").agg(F.sum("cnt").alias("cnt"))
+    # greatest() passes over nulls, and zeros must stay apart
+    folded = F.when(F.col("bin").isNotNull(), F.greatest("bin", floor_))
+    return ranked.withColumn("bin", folded).groupBy(*by, "bin").agg(F.sum("cnt").alias("cnt"))
 
 
 def dd_merge(a: DataFrame, b: DataFrame, by: list[str], max_bins: int, sign: int = 1) -> DataFrame:

@@ -13,6 +13,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def levels_of(df: DataFrame, idx: str) -> int:
+    """Levels that the longest sequence needs."""
+    return max(1, int(df.agg(F.max(idx)).first()[0] or 0).bit_length())
+
+
 def haar(df: DataFrame, by: list[str], idx: str, v: str, levels: int) -> DataFrame:
     """(by, level, node, coeff, leaves_left, leaves_right) and, at ``level`` = ``levels``, each root's average as ``coeff``.
 
