@@ -118,7 +118,7 @@ def _bands(sig: np.ndarray) -> np.ndarray:
     x = sig.reshape(-1, BANDS, ROWS).astype(np.uint64)
     h = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(ROWS):
-        h = _mix(h ^ (x[:, :, k] + np.uint64(k + 1) * _PLACE[k]))
+        h = _mix(h ^ (x[:, :, k] + _PLACE[40 + k]))
     return h.astype(np.int64)
 
 
