@@ -274,7 +274,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
     clusters = connected_components(stars, scratch)
     sized = clusters.join(clusters.groupBy("component").agg(F.count("*").alias("size")), "component")
     sized = scratch.cut(sized.join(sigs, "node"), "clusters")
-    texts = docs.select("text_hash", "text").join(sized.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    # a merge join at every size: neither side has a bound that would allow a broadcast
+    texts = docs.select("text_hash", "text").join(sized.select("text_hash").hint("merge"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
     loaded = in_blocks(sized, "component", "size", "node").join(texts, "text_hash")
 
     def verify(batches):
