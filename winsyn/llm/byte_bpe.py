@@ -10,7 +10,7 @@ rank, until no pair has one. It runs over distinct words; decoding concatenates
   alone. Texts with a run of ``LONG`` or more characters without a break, or with characters that Java's older Unicode tables leave
   unassigned, go to the tiktoken library.
 * ``encode`` and ``decode`` are the same fold in Arrow batches, each worker keeping the words that it has folded. The query uses
-  it because the native form takes about ten times the limit (README).
+  it because the native form takes several times the limit, by estimate (README).
 
 Both are maps over the texts, without a shuffle. Null texts are empty.
 """
