@@ -6,9 +6,9 @@ Two rows link if their labels are equal and not null and the cosine of their vec
 1. Rows with equal label and vector form one node with a count, so that copies are one row from here on.
 2. Iterative quantisation learns, for each vector length, a rotation of the principal axes that balances the signs, from a
    sample of at most ``SAMPLE`` nodes in hash order; every node is coded with it. The code has up to 64 bits.
-3. Codes are cut into ``TABLES`` parts. Two nodes are candidates if some part differs in at most one bit, which holds for every
-   pair within 2 * TABLES - 1 bits of each other and most beyond: one side looks up its parts, the other its parts and
-   all single-bit variants. Candidates further than ``RADIUS`` bits apart are dropped.
+3. Codes are cut into ``TABLES`` parts. Two nodes are candidates if some part differs in at most two bits, which holds for every
+   pair within 3 * TABLES - 1 bits of each other and most beyond: both sides bring their parts and all single-bit variants,
+   and of the ways in which a part can meet one counts. Candidates further than ``RADIUS`` bits apart are dropped.
 4. The original vectors decide.
 
 Counts of links count rows. Rows with a null id belong to their group and never name it.
@@ -92,11 +92,12 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
     coded = scratch.cut(nodes.select("node", "label", "v").mapInArrow(code, f"node long, label {kind}, dim int, code long"), "codes")
     width = BITS // TABLES
     in_tables = coded.withColumn("t", F.explode(F.array(*[F.lit(t) for t in range(TABLES)])))
-    held = in_tables.select("label", "dim", "t", F.expr(f"shiftrightunsigned(code, t * {width}) & {(1 << width) - 1}L").alias("part"), F.col("node").alias("a"), F.col("code").alias("code_a"))
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(width)])
-    asked = in_tables.withColumn("flip", F.explode(flips)).select("label", "dim", "t", F.expr(f"(shiftrightunsigned(code, t * {width}) & {(1 << width) - 1}L) ^ flip").alias("part"), F.col("node").alias("b"), F.col("code").alias("code_b"))
+    part = F.expr(f"(shiftrightunsigned(code, t * {width}) & {(1 << width) - 1}L) ^ flip")
+    held, asked = (in_tables.withColumn("flip", F.explode(flips)).select("label", "dim", "t", part.alias("part"), F.col("node").alias(n), F.col("code").alias(f"code_{n}"), F.col("flip").alias(f"flip_{n}")) for n in "ab")
+    once = (F.col("flip_a") == 0) | (F.col("flip_a") < F.col("flip_b"))
     near = F.bit_count(F.col("code_a").bitwiseXOR(F.col("code_b"))) <= RADIUS
-    pairs = held.join(asked, ["label", "dim", "t", "part"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    pairs = held.join(asked, ["label", "dim", "t", "part"]).where((F.col("a") < F.col("b")) & once & near).select("a", "b").distinct()
     vectors = nodes.select("node", "v")
     loaded = pairs.join(vectors.select(F.col("node").alias("a"), F.col("v").alias("v_a")), "a").join(vectors.select(F.col("node").alias("b"), F.col("v").alias("v_b")), "b").select("a", "b", "v_a", "v_b")
 
