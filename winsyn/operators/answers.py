@@ -23,21 +23,24 @@ def query_latest(synopses: DataFrame, queries: DataFrame, keys: list[str]) -> Da
     return queries.join(F.broadcast(last.limit(1)), F.lit(True), "left")  # one row: a window has one synopsis
 
 
-def query_timestamped(synopses: DataFrame, queries: DataFrame, keys: list[str], t: str, archive: int = 1000) -> DataFrame:
-    """As-of: the synopsis with the greatest window_start <= t, if t <= window_end; only the newest ``archive`` windows are kept.
+def query_timestamped(synopses: DataFrame, queries: DataFrame, keys: list[str], t: str, archive: int | None = 1000) -> DataFrame:
+    """As-of: the synopsis with the greatest window_start <= t, if t <= window_end; only the newest ``archive`` windows are kept (all if None).
 
     Queries and windows of a key are merged in time order and each query takes the last window before it: one shuffle, no
-    range join. Without keys the archive, whose size is bounded, is broadcast.
+    range join. Without keys a bounded archive is broadcast; an unbounded one is merged as one key.
     """
     body = F.struct(*[c for c in synopses.columns if c not in keys])
     names = [c for c in synopses.columns if c not in keys]
+    if not keys and archive is None:
+        out = query_timestamped(synopses.withColumn("__one", F.lit(1)), queries.withColumn("__one", F.lit(1)), ["__one"], t, None)
+        return out.drop("__one")
     if not keys:
         kept = synopses.orderBy(F.desc("window_start")).limit(archive)
         rows = queries.withColumn("__q", F.struct(*queries.columns))
         best = rows.join(F.broadcast(kept.select(body.alias("__s"))), F.col("__s.window_start") <= F.col(t), "left").groupBy("__q").agg(F.max("__s").alias("__s"))
         out = best.select("__q.*", "__s")
     else:
-        ranked = synopses.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("window_start")))).where(F.col("__k") <= archive)
+        ranked = synopses.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("window_start")))).where(F.lit(True) if archive is None else F.col("__k") <= archive)
         left = ranked.select(*keys, F.col("window_start").alias("__t"), F.lit(0).alias("__o"), body.alias("__s"), F.lit(None).cast(queries.select(F.struct(*queries.columns).alias("q")).schema["q"].dataType).alias("__q"))
         right = queries.select(*keys, F.col(t).alias("__t"), F.lit(1).alias("__o"), F.lit(None).cast(synopses.select(body.alias("s")).schema["s"].dataType).alias("__s"), F.struct(*queries.columns).alias("__q"))
         order = W.partitionBy(*keys).orderBy("__t", "__o").rowsBetween(W.unboundedPreceding, 0)

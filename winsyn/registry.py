@@ -519,12 +519,12 @@ _ASOFS = ", ".join(_ASOF.format(c=c) for c in ("window_start", "window_end", "to
 
 @query(f"{_SYN} SELECT q.*, {_ASOFS} FROM q ASOF LEFT JOIN one ON q.qt >= one.window_start")
 def query_timestamped(spark, sf_dir):
-    return answers.query_timestamped(_synopses(spark, sf_dir, []), _questions(spark, sf_dir), [], "qt")
+    return answers.query_timestamped(_synopses(spark, sf_dir, []), _questions(spark, sf_dir), [], "qt", archive=None)
 
 
 @query(f"{_SYN} SELECT q.*, {_ASOFS} FROM q ASOF LEFT JOIN syn ON q.event_type = syn.event_type AND q.qt >= syn.window_start")
 def query_timestamped_stratified(spark, sf_dir):
-    return answers.query_timestamped(_synopses(spark, sf_dir, ["event_type"]), _questions(spark, sf_dir), ["event_type"], "qt")
+    return answers.query_timestamped(_synopses(spark, sf_dir, ["event_type"]), _questions(spark, sf_dir), ["event_type"], "qt", archive=None)
 
 
 @query(f"{_SYN} SELECT q.*, window_start, window_end, total FROM q JOIN syn ON q.event_type = syn.event_type AND qt BETWEEN window_start AND window_end")
