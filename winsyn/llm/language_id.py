@@ -5,7 +5,7 @@ Each language has a probability for each piece. The likelihood of a word is the
 the product of their probabilities, by the forward algorithm; a text's is the product over its words (maximal runs of letters,
 lower-cased). The prediction is the language of largest posterior under equal priors, and the score is that posterior.
 
-Training reads labelled rows, a bounded sample of about ``PER_LANGUAGE`` texts a language chosen by a hash of the text, counts
+Training reads labelled rows, a bounded sample of about ``PER_LANGUAGE`` different texts a language chosen by a hash of the text, each once, counts
 words by language in the cluster, keeps each language's ``WORDS`` most frequent, and runs ``ROUNDS`` of expectation maximisation on
 those with the forward-backward algorithm. Prediction is a map over all texts; a worker keeps the likelihoods of words it has seen.
 
@@ -147,12 +147,12 @@ class Model:
 def train(df: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, limit: int = WORDS, rounds: int = ROUNDS) -> Model:
     """Piece probabilities of each language from labelled rows."""
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}  # a row for each language
     if not counts:
         return Model([], pieces, np.zeros((len(pieces), 0)))
     share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     hashed = F.pmod(F.xxhash64(F.lit(1), F.col("text")), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(hashed < share[F.col("lang")])
+    sample = rows.where(hashed < share[F.col("lang")]).distinct()
 
     def count(batches):
         from collections import Counter
