@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,13 +48,32 @@ class Scratch:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again: the plan above starts from files."""
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        # Spark deletes the shuffle files of a finished plan when the driver collects its garbage
-        self.spark._jvm.System.gc()
+        with self._tidy():
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._winsyn_path = path
         return out
 
+    def bucketed(self, df: DataFrame, by: str, buckets: int, name: str) -> DataFrame:
+        """The same as a bucketed table: plans that group by the column need no shuffle of it."""
+        path, table_name = self.path(name), f"winsyn_{uuid.uuid4().hex}"
+        with self._tidy():
+            df.repartition(buckets, by).sortWithinPartitions(by).write.option("compression", "zstd").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(table_name)
+        out = self.spark.table(table_name)
+        self.spark.sql(f"DROP TABLE {table_name}")  # of an external table only the name goes
+        out._winsyn_path = path
+        return out
+
+    @contextmanager
+    def _tidy(self):
+        """Within, the shuffle files of a plan are deleted as soon as it has run."""
+        old = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            yield
+        finally:
+            self.spark.conf.unset(_CLEANUP) if old is None else self.spark.conf.set(_CLEANUP, old)
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete tables of ``cut`` that no later plan reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
