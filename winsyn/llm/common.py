@@ -108,4 +108,6 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
-    return cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = cur.select(F.col("a").alias("node"), F.col("b").alias("component")).union(cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out._winsyn_path = cur._winsyn_path
+    return out
