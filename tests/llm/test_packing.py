@@ -14,7 +14,6 @@ def reference(texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     return [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
@@ -82,3 +81,19 @@ def test_nnls(seed):
 
 def test_empty_table(spark):
     assert m.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_names_of_special_tokens():
+    texts = ["<|endoftext|>", "a <|startoftext|>b<|ENDOFTEXT|> c", "x\x0by\xa0z", "KKÅ", "tab\tx\x85y\x1cz", "it's İstanbul", None, ""]
+    want = reference(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in m.Words(PATH).encode(texts)] == want
+    assert want[0] == [49407]
+
+
+def test_plan_places_most_pieces_of_short_texts():
+    lengths = np.random.default_rng(4).geometric(1 / 40, 10_000)
+    histogram = np.bincount(lengths[lengths <= 256], minlength=257)
+    found = m.plan(histogram)
+    assert all(sum(c) == 256 for c, _ in found)
+    used = sum(len(c) * n for c, n in found)
+    assert used > 0.8 * histogram.sum()

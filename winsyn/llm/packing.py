@@ -2,9 +2,10 @@
 
 1. A map over the texts gives each document's token ids with an end id, cut into full windows of ``WINDOW`` ids and a rest.
    Full windows are sequences of their own.
-2. The rests' lengths, rounded up to units of 16, make a histogram of 256 bins. All combinations of one to three lengths that
-   fill a window exactly are columns of a non-negative least squares problem, solved (Lawson-Hanson) for how often each is
-   used; the counts are rounded down, kept within the histogram, and pieces take the places of their bins by rank.
+2. The rests' lengths, rounded up to units of 16, make a histogram of 256 bins. All combinations of one to three parts, and of one length
+   several times with at most one other, that fill a window exactly are columns of a non-negative least squares problem, solved
+   (Lawson-Hanson) for how often each is used; the counts are rounded, kept within the histogram, and what they leave over is solved
+   for again while that helps. Pieces take the places of their bins by rank.
 3. Pieces that the rounding or the shape of the histogram leaves over are packed greedily, best fit decreasing, in blocks.
 
 The plan has a few hundred entries whatever the input's size. Ranks need no window over a whole bin: bins are salted, and a
@@ -21,6 +22,8 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 
 WINDOW, UNIT, DEPTH, END = 4096, 16, 3, 2
-BLOCK, PER_SALT, CACHE = 20_000, 500_000, 400_000
+BLOCK, PER_SALT, CACHE = 20_000, 500_000, 800_000
 
 
 class Words:
@@ -41,43 +44,53 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         known = [chr(c) for c in range(0xA1, 0x250)]
         letters = "".join(c for c in known if unicodedata.category(c)[0] == "L")
         numbers = "".join(c for c in known if unicodedata.category(c)[0] == "N")
         # the characters for which lower-casing is all that the file's normaliser does
         self.plain = re.compile("[\t\n\r -~¡-ɏ]*")
-        self.words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-Z{letters}]+|[0-9{numbers}]|[^\\sa-zA-Z0-9{letters}{numbers}]+")
-        self.cache: dict[str, bytes] = {}
+        # the letters first, as most tries are for them; white space that is not plain is found too, so that it is noticed
+        self.words = re.compile(f"[a-zA-Z{letters}]+|'(?:[stmd]|re|ve|ll)|[0-9{numbers}]|[^\\sa-zA-Z0-9{letters}{numbers}]+|[^\\S\t\n\r ]")
+        self.known = _Known(self.tok, self.plain)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids as little-endian 32-bit integers."""
-        out: list = [None] * len(texts)
-        split, missing, whole = {}, set(), []
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        have = self.cache
-        for i, t in enumerate(texts):
+        """Ids as little-endian 32-bit integers; names of special tokens in a text have their ids, as in the library."""
+        out = []
+        if len(self.known) > CACHE:
+            self.known.clear()
+        known = self.known.__getitem__
+        for t in texts:
             t = t or ""
-            if not self.plain.fullmatch(t):
-                whole.append(i)
-                continue
-            split[i] = found = self.words.findall(t.lower())
-            missing.update(w for w in found if w not in have)
-        if missing:
-            new = list(missing)
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                have[w] = np.array(e.ids, "<u4").tobytes()
-        for i, found in split.items():
-            out[i] = b"".join([have[w] for w in found])
-        for i in whole:
-            out[i] = np.array(self.tok.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
+            ids = None
+            if "<|" not in t and (t.isascii() or int(np.frombuffer(t.encode("utf-16-le", "surrogatepass"), "<u2").max()) < 0x250):
+                try:
+                    ids = b"".join(map(known, self.words.findall(t.lower())))
+                except TypeError:  # a word with characters that are not plain
+                    pass
+            out.append(array("I", self.tok.encode(t, add_special_tokens=False).ids).tobytes() if ids is None else ids)
         return out
 
 
+class _Known(dict):
+    """Ids of words, encoded when first asked for; None for words that only the library can judge within their text."""
+
+    def __init__(self, tok, plain: re.Pattern):
+        self.one, self.plain = tok.encode_batch_fast, plain
+
+    def __missing__(self, word: str) -> bytes | None:
+        self[word] = ids = array("I", self.one([word], add_special_tokens=False)[0].ids).tobytes() if self.plain.fullmatch(word) else None
+        return ids
+
+
+@lru_cache(1)
+def _words(path: str) -> Words:
+    """A worker's own, kept from task to task."""
+    return Words(path)
+
+
 def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
-    """Non-increasing lengths of at most ``depth`` parts with sum ``units``."""
-    out = []
+    """Non-increasing lengths with sum ``units``: at most ``depth`` parts, or one length several times and at most one shorter or longer part."""
+    out = [tuple(sorted([p] * n + ([units - n * p] if units > n * p else []), reverse=True)) for p in range(1, units // depth + 1) for n in range(depth, units // p + 1)]
 
     def extend(parts: tuple, rest: int):
         if not rest:
@@ -87,11 +100,11 @@ def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
                 extend((*parts, p), rest - p)
 
     extend((), units)
-    return out
+    return list(dict.fromkeys(out))
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lawson-Hanson: x >= 0 with least ||a x - b||."""
+    """Lawson-Hanson: x >= 0 with least ||a x - b||, or near it: after 3 steps a row it stops, and the plan made of x is only less full."""
     m, n = a.shape
     x, passive = np.zeros(n), np.zeros(n, bool)
     for _ in range(3 * m):
@@ -121,27 +134,28 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def plan(histogram: np.ndarray, units: int = WINDOW // UNIT, depth: int = DEPTH) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in units, repeats) that the histogram (index 1 .. units) can serve."""
-    combos = combinations(units, depth)
+    combos, out = combinations(units, depth), {}
     left = histogram.astype(np.int64).copy()
-    if not left.sum():
-        return []
-    live = [c for c in combos if all(left[p] for p in c)]
-    if not live:
-        return []
-    a = np.zeros((units + 1, len(live)))
-    for k, c in enumerate(live):
-        for p in c:
-            a[p, k] += 1
-    x = nnls(a, left.astype(float))
-    out = []
-    for k in np.argsort(-x):
-        need = {p: live[k].count(p) for p in live[k]}
-        n = min(int(x[k] + 1e-6), *(int(left[p]) // c for p, c in need.items()))
-        if n > 0:
-            out.append((live[k], n))
-            for p, c in need.items():
-                left[p] -= n * c
-    return out
+    while left.sum():
+        # rounding leaves a part over, which is solved for again as long as that places a twentieth of it
+        live = [c for c in combos if all(left[p] for p in c)]
+        if not live:
+            break
+        a = np.zeros((units + 1, len(live)))
+        for k, c in enumerate(live):
+            for p in c:
+                a[p, k] += 1
+        x, before = nnls(a, left.astype(float)), int(left.sum())
+        for k in np.argsort(-x):
+            need = {p: live[k].count(p) for p in set(live[k])}
+            n = min(int(x[k] + 0.5), *(int(left[p]) // c for p, c in need.items()))
+            if n > 0:
+                out[live[k]] = out.get(live[k], 0) + n
+                for p, c in need.items():
+                    left[p] -= n * c
+        if 20 * (before - int(left.sum())) < before:
+            break
+    return list(out.items())
 
 
 def _greedy(rows: pa.Table, first: int) -> pa.Table:
@@ -171,7 +185,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "tex
     id_type = df.schema[id_col].dataType.simpleString()
 
     def cut(batches):
-        words = Words(tokenizer)
+        words = _words(tokenizer)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
