@@ -46,3 +46,11 @@ def test_edges(spark):
     assert got[1][0] == "en" and got[2][0] == got[None][0] == "de" and got[3] == got[4] == got[6] == ("und", 0.0) and got[5][0] in ("en", "de")
     assert m.predict(docs.limit(0), model).count() == 0
     assert {r.lang_pred for r in m.predict(docs, m.train(docs.limit(0), ["a"])).collect()} == {"und"}
+
+
+def test_numbers_are_not_letters():
+    from winsyn.llm.language_id import words_of
+
+    assert words_of("½ ² Ⅷ 12 ٣ _ ①") == []
+    assert words_of("Straße 2² ñandú") == ["straße", "ñandú"]
+    assert words_of("x" * 500) == ["x" * 500]

@@ -1,13 +1,12 @@
 """Language identification with segmentation-marginalised unigrams (op 3).
 
-The vocabulary is fixed and public: the pieces of a tokenizer file, up to ``LONGEST`` characters, and every character seen.
+The vocabulary is fixed and public: the pieces of a tokenizer file that are made of letters, and every character seen.
 Each language has a probability for each piece. The likelihood of a word is the sum over all segmentations into pieces of
 the product of their probabilities, by the forward algorithm; a text's is the product over its words (maximal runs of letters,
 lower-cased). The prediction is the language of largest posterior under equal priors, and the score is that posterior.
 
 Training reads labelled rows, a bounded sample of about ``PER_LANGUAGE`` different texts a language chosen by a hash of the text, each once, counts
-words by language in the cluster, keeps each language's ``WORDS`` most frequent, and runs ``ROUNDS`` of expectation maximisation on
-those with the forward-backward algorithm. Prediction is a map over all texts; a worker keeps the likelihoods of words it has seen.
+words by language in the cluster, and runs ``ROUNDS`` of expectation maximisation on them with the forward-backward algorithm. Prediction is a map over all texts; a worker keeps the likelihoods of words it has seen.
 
 Texts that are null or hold no letter are ``und`` with score 0. With no labelled row every text is ``und``.
 """
@@ -15,6 +14,7 @@ Texts that are null or hold no letter are ``und`` with score 0. With no labelled
 from __future__ import annotations
 
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-PER_LANGUAGE, WORDS, ROUNDS, LONGEST = 500, 20_000, 3, 8
-KEEP = 600_000
-_LETTERS = re.compile(r"[^\W\d_]+")
+PER_LANGUAGE, ROUNDS = 500, 3
+KEEP, CELLS = 600_000, 1 << 18  # words that a worker remembers, cells of a lattice
+# letters as str.isalpha has them: word characters without digits, and without numbers such as fractions
+_NUMBERS = "".join(c for c in map(chr, range(0xAA, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
+_LETTERS = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 _UNKNOWN = -14.0  # log probability of a character that no training text has
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters of the lower-cased text; long runs in pieces of 64."""
-    found = _LETTERS.findall((text or "").lower())
-    if found and max(map(len, found)) > 64:
-        found = [w[i : i + 64] for w in found for i in range(0, len(w), 64)]
-    return found
+    """Runs of letters of the lower-cased text."""
+    return _LETTERS.findall((text or "").lower())
 
 
 def vocabulary(path: str) -> list[str]:
@@ -43,13 +42,14 @@ def vocabulary(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = {sp.id_to_piece(i).replace("▁", "").lower() for i in range(sp.get_piece_size())}
-    return sorted(p for p in found if len(p) <= LONGEST and _LETTERS.fullmatch(p))
+    return sorted(p for p in found if _LETTERS.fullmatch(p))
 
 
 class Lattice:
     """All pieces in a list of words, grouped for vectorised dynamic programming."""
 
     def __init__(self, words: list[str], index: dict[str, int]):
+        most = max(map(len, index), default=1)
         order = sorted(range(len(words)), key=lambda i: -len(words[i]))
         self.order = np.array(order, np.int64)
         self.longest = len(words[order[0]]) if words else 0
@@ -60,13 +60,15 @@ class Lattice:
             w = words[i]
             n = len(w)
             for a in range(n):
-                for b in range(a + 1, min(n, a + LONGEST) + 1):
+                for b in range(a + 1, min(n, a + most) + 1):
                     k = index.get(w[a:b])
                     if k is not None:
                         rows, ids = steps.setdefault((b, b - a), ([], []))
                         rows.append(r)
                         ids.append(k)
-        self.steps = {k: (np.array(r, np.int64), np.array(i, np.int64)) for k, (r, i) in steps.items()}
+        self.steps: dict[int, list] = {}
+        for (end, size), (r, i) in sorted(steps.items()):
+            self.steps.setdefault(end, []).append((size, np.array(r, np.int64), np.array(i, np.int64)))
 
     def forward(self, logp: np.ndarray) -> np.ndarray:
         """alpha[row, end, language]: log of the sum over segmentations of each prefix; unknown characters stand alone."""
@@ -74,10 +76,8 @@ class Lattice:
         alpha[:, 0] = 0
         for end in range(1, self.longest + 1):
             out = alpha[:, end - 1] + _UNKNOWN
-            for size in range(1, min(end, LONGEST) + 1):
-                if (end, size) in self.steps:
-                    rows, ids = self.steps[end, size]
-                    out[rows] = np.logaddexp(out[rows], alpha[rows, end - size] + logp[ids])
+            for size, rows, ids in self.steps.get(end, ()):
+                out[rows] = np.logaddexp(out[rows], alpha[rows, end - size] + logp[ids])
             alpha[:, end] = out
         return alpha
 
@@ -98,15 +98,25 @@ class Lattice:
         w = weight[self.order]
         for end in range(self.longest, 0, -1):
             beta[:, end - 1] = np.logaddexp(beta[:, end - 1], beta[:, end] + _UNKNOWN)
-            for size in range(1, min(end, LONGEST) + 1):
-                if (end, size) in self.steps:
-                    r, ids = self.steps[end, size]
-                    through = beta[r, end] + logp[ids]
-                    beta[r, end - size] = np.logaddexp(beta[r, end - size], through)
-                    np.add.at(counts, ids, np.exp(alpha[r, end - size] + through - total[r]) * w[r])
+            for size, r, ids in self.steps.get(end, ()):
+                through = beta[r, end] + logp[ids]
+                beta[r, end - size] = np.logaddexp(beta[r, end - size], through)
+                np.add.at(counts, ids, np.exp(alpha[r, end - size] + through - total[r]) * w[r])
         return counts
 
 
+def _portions(words: list[str]):
+    """Words by length, in lists whose lattices have at most ``CELLS`` cells or one word."""
+    held, cells = [], 0
+    for w in sorted(words, key=len):
+        if held and (len(held) + 1) * (len(w) + 1) > CELLS:
+            yield held
+            held = []
+        held.append(w)
+    if held:
+        yield held
+
+
 class Model:
     def __init__(self, languages: list[str], pieces: list[str], logp: np.ndarray):
         self.languages, self.logp = languages, logp
@@ -128,10 +138,10 @@ class Model:
             self.known, self.table = {}, self.table[:0]
         new = list({w for f in found for w in f}.difference(self.known))
         parts = [self.table]
-        for k in range(0, len(new), 4096):
-            parts.append(Lattice(new[k : k + 4096], self.index).likelihood(self.logp))
-        for w in new:
-            self.known[w] = len(self.known)
+        for portion in _portions(new):
+            parts.append(Lattice(portion, self.index).likelihood(self.logp))
+            for w in portion:
+                self.known[w] = len(self.known)
         self.table = np.concatenate(parts)
         out = []
         for f in found:
@@ -144,7 +154,7 @@ class Model:
         return out
 
 
-def train(df: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, limit: int = WORDS, rounds: int = ROUNDS) -> Model:
+def train(df: DataFrame, pieces: list[str], text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
     """Piece probabilities of each language from labelled rows."""
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}  # a row for each language
@@ -164,26 +174,24 @@ def train(df: DataFrame, pieces: list[str], text: str = "text", lang: str = "lan
             flat = [(k, w, n) for k, c in seen.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in flat], pa.string()), pa.array([f[1] for f in flat], pa.string()), pa.array([f[2] for f in flat], pa.int64())], names=["lang", "word", "n"])
 
-    from pyspark.sql import Window
-
     words = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = words.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= limit)
-    data = top.drop("k").collect()  # at most ``limit`` words of each language
+    data = words.collect()  # the words of the bounded sample
     languages = sorted(counts)
     letters = {c for r in data for c in r.word}
     pieces = sorted(set(pieces) | letters)
     index = {p: i for i, p in enumerate(pieces)}
-    vocab = sorted({r.word for r in data})
+    vocab = sorted({r.word for r in data}, key=lambda w: (len(w), w))
     at = {w: i for i, w in enumerate(vocab)}
     weight = np.zeros((len(vocab), len(languages)))
     for r in data:
         weight[at[r.word], languages.index(r.lang)] = r.n
+    lattices = [(Lattice(p, index), weight[[at[w] for w in p]]) for p in _portions(vocab)]
     single = np.array([len(p) == 1 for p in pieces])
     logp = np.log(np.full((len(pieces), len(languages)), 1.0 / len(pieces)))
     for _ in range(rounds):
         found = np.zeros(logp.shape)
-        for k in range(0, len(vocab), 4096):
-            found += Lattice(vocab[k : k + 4096], index).expected(logp, weight[k : k + 4096])
+        for lattice, counts_of in lattices:
+            found += lattice.expected(logp, counts_of)
         found += np.where(single, 0.5, 0.01)[:, None]
         logp = np.log(found / found.sum(axis=0))
     return Model(languages, pieces, logp)
