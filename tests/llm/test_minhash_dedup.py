@@ -68,3 +68,13 @@ def test_empty_table(spark):
 def test_posterior_bound():
     least = m.least_matches(80, 1e-6)
     assert len(least) == 8 and all(0 <= x <= (k + 1) * 16 for k, x in enumerate(least)) and least == sorted(least)
+
+
+def test_words_of_thue_and_morse_differ(spark):
+    from winsyn.llm.minhash_dedup import near_duplicates
+
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(df, width=4).collect()} == {1: 1, 2: 2, 3: 1}

@@ -11,7 +11,7 @@ nothing). Two rows link if their sets' Jaccard similarity is at least ``percent`
    prior, the probability of similarity >= the threshold is below ``MISS``. Pairs are never emitted: each group
    returns its survivors' connected classes as a star.
 3. The stars' components are clusters. Every cluster gets its nodes' texts once, prunes again and verifies the
-   survivors on the full shingle sets, skipping pairs that verified links connect already.
+   survivors on the full shingle sets, by hash and then by their words, skipping pairs that verified links connect already.
 
 Groups and clusters of more than ``BLOCK`` nodes are cut into blocks by hash and every pair of blocks is a task of its
 own, so no task holds more than two blocks. A pair at the threshold is missed by all bands with probability
@@ -23,6 +23,8 @@ component. Rows that repeat an id keep their own texts. Other columns are not re
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,21 +42,17 @@ _CODE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _A = _rng.integers(0, 2**64, HASHES, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**64, HASHES, dtype=np.uint64)
 _PLACE = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
-_BASE = 0xA0761D6478BD642F | 3
+_SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers = {"n": 0}
+_factors = {"all": np.zeros(0, np.uint64)}
 
 
-def _grow(n: int):
-    if _powers["n"] < n:
-        size = 1 << max(20, (n - 1).bit_length())
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-        _powers["n"] = size
-    return _powers["up"], _powers["down"]
+def _grow(n: int) -> np.ndarray:
+    """A random factor for each place in a word; powers of one number would let words like Thue and Morse's collide."""
+    if len(_factors["all"]) < n:
+        _factors["all"] = np.random.Generator(np.random.PCG64(104729)).integers(0, 2**64, 1 << max(12, (n - 1).bit_length()), dtype=np.uint64)
+    return _factors["all"]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -71,13 +69,16 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    up, down = _grow(n + 1)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODE[data] * up[:n], out=sums[1:])
     space = _SPACE[data]
     inside = np.diff(np.concatenate(([0], (~space).astype(np.int8))))  # every row ends in a space
     start, stop = np.flatnonzero(inside == 1), np.flatnonzero(inside == -1)
-    word = _mix((sums[stop] - sums[start]) * down[start])
+    size = stop - start
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
+    inner = np.flatnonzero(~space)
+    first = np.cumsum(size) - size
+    place = np.arange(len(inner)) - np.repeat(first, size)
+    word = _mix(np.add.reduceat(_CODE[data[inner]] * _grow(int(size.max()))[place], first))
     row = np.searchsorted(ends, start, side="right")
     m = len(word)
     hashes, rows = [], []
@@ -104,6 +105,12 @@ def shingle_sets(texts: list[str | None], width: int) -> tuple[np.ndarray, np.nd
     return h, np.searchsorted(r, np.arange(len(texts) + 1))
 
 
+def shingle_words(text: str | None, width: int) -> set[bytes]:
+    """The set itself: distinct shingles as their words with a space between."""
+    words = _SPLIT.findall((text or "").encode().lower())
+    return {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
 def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A row of minima for each set that is not empty."""
     start = bounds[:-1][bounds[1:] > bounds[:-1]]
@@ -286,10 +293,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
                 continue
             a, b, m = (np.concatenate(x) for x in zip(*found))
             order = np.argsort(-m, kind="stable")
-            h, bounds = shingle_sets(t.column("text").to_pylist(), width)
+            texts = t.column("text").to_pylist()
+            h, bounds = shingle_sets(texts, width)
             sets = [h[x:y] for x, y in zip(bounds, bounds[1:])]
             parent = list(range(len(node)))
 
+            def linked(i, j):
+                """On the words themselves; the hashes have only spared most of the pairs this."""
+                x, y = shingle_words(texts[i], width), shingle_words(texts[j], width)
+                both = len(x & y)
+                return 100 * both >= percent * (len(x) + len(y) - both)
+
             def root(i):
                 while parent[i] != i:
                     parent[i] = parent[parent[i]]
@@ -305,7 +319,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", w
                     continue
                 both = np.sort(np.concatenate((sets[i], sets[j])), kind="stable")
                 inter = int((both[1:] == both[:-1]).sum())
-                if 100 * inter >= percent * (n - inter):
+                if 100 * inter >= percent * (n - inter) and linked(i, j):
                     parent[max(x, y)] = min(x, y)
             label = np.array([root(i) for i in range(len(node))])
             other = np.flatnonzero(label != np.arange(len(label)))
