@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -222,7 +223,13 @@ def _mapped(df: DataFrame, source: str, target: str, make) -> DataFrame:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", target: str = "ids") -> DataFrame:
     """``df`` with the ids of each text as little-endian 32-bit integers. ``path``: a tiktoken rank file."""
-    return _mapped(df, text, target, lambda: Folder(load_ranks(path), pattern).encode)
+    return _mapped(df, text, target, lambda: _folder(path, pattern).encode)
+
+
+@lru_cache(1)
+def _folder(path: str, pattern: str) -> Folder:
+    """A worker's own, kept from task to task."""
+    return Folder(load_ranks(path), pattern)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", target: str = "decoded") -> DataFrame:
