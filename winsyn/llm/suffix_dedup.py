@@ -38,9 +38,9 @@ from pyspark.sql import types as T
 from .common import Scratch, table
 
 LENGTH = 200
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 FILTER_BYTES = 64 << 20  # of text for each shard of the filter
-SHARD_BYTES = 48 << 20  # of suffixes for each shard of the family
+SHARD_BYTES = 16 << 20  # of suffixes for each shard of the family
 CHUNK = 1 << 18
 MAX_SHARDS = 100_000
 
@@ -329,11 +329,15 @@ class Family:
         order = np.argsort(suffixes, kind="stable")
         return Level(suffixes[order], np.concatenate((a.numbers, b.numbers))[order])
 
-    def found(self, numbers: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    def sizes(self, suffixes: np.ndarray) -> np.ndarray:
+        """How many bytes each has before and behind its anchor."""
+        m = self.shape.bytes_of(suffixes)
+        return np.stack((self.shape.left(m)[1], self.shape.right(m)[1])).astype(np.uint16)
+
+    def found(self, numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """The reach of a run's suffixes by now; one that stands at several places matches as far as its text goes."""
         shape = self.shape
-        m = shape.bytes_of(suffixes)
-        behind, before = shape.right(m)[1], shape.left(m)[1]
+        before, behind = sizes
         out = self.reach[numbers].copy()
         whole = self.several[numbers] & (behind + before >= shape.length)
         # behind counts up to length and is at least k, so some string of the length reaches both ends
@@ -403,6 +407,7 @@ def _runs(batches, column: str):
         for i, s in enumerate(b.column(column).to_pylist()):
             yield s != last, {c: b.column(c)[i].as_py() for c in b.schema.names}
             last = s
+        del b
 
 
 def _bits(x: np.ndarray) -> bytes:
@@ -441,8 +446,8 @@ def _scan(shape: Shape):
     """Shards of suffixes, sorted by shard and batch: feed each batch's array to the shard's family, then tell all how far matches reach."""
 
     def answers(shard, family, runs):
-        for batch, numbers, suffixes in runs:
-            reach = family.found(numbers, suffixes)
+        for batch, numbers, sizes in runs:
+            reach = family.found(numbers, sizes)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([batch], pa.int32()), pa.array([2], pa.int32()), pa.array([shard], pa.int32()), pa.array([reach.tobytes()], pa.binary()), pa.array([int((reach[:, 1] > 0).sum())], pa.int64())],
                 names=["batch", "round", "shard", "payload", "several"],
@@ -455,7 +460,7 @@ def _scan(shape: Shape):
                 yield from answers(shard, family, runs)
                 shard, family, runs = row["shard"], Family(shape), []
             suffixes = np.frombuffer(row["keys"], shape.kind)
-            runs.append((row["batch"], family.add(suffixes, _unbits(row["several"], len(suffixes))), suffixes))
+            runs.append((row["batch"], family.add(suffixes, _unbits(row["several"], len(suffixes))), family.sizes(suffixes)))
         yield from answers(shard, family, runs)
 
     return run
