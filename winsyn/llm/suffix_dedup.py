@@ -400,16 +400,6 @@ class Batch:
         return suffixes, shard, np.bincount(place, minlength=len(suffixes)), np.concatenate(rows), np.concatenate(offsets), place
 
 
-def _runs(batches, column: str):
-    """The record batches' rows, one at a time, with a mark at each change of a column."""
-    last = None
-    for b in batches:
-        for i, s in enumerate(b.column(column).to_pylist()):
-            yield s != last, {c: b.column(c)[i].as_py() for c in b.schema.names}
-            last = s
-        del b
-
-
 def _bits(x: np.ndarray) -> bytes:
     return np.packbits(x).tobytes()
 
@@ -443,25 +433,29 @@ def _filter(rows: pa.Table) -> pa.Table:
 
 
 def _scan(shape: Shape):
-    """Shards of suffixes, sorted by shard and batch: feed each batch's array to the shard's family, then tell all how far matches reach."""
-
-    def answers(shard, family, runs):
-        for batch, numbers, sizes in runs:
-            reach = family.found(numbers, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch], pa.int32()), pa.array([2], pa.int32()), pa.array([shard], pa.int32()), pa.array([reach.tobytes()], pa.binary()), pa.array([int((reach[:, 1] > 0).sum())], pa.int64())],
-                names=["batch", "round", "shard", "payload", "several"],
-            )
-
-    def run(batches):
-        shard, family, runs = None, None, []
-        for new, row in _runs(batches, "shard"):
-            if new:
-                yield from answers(shard, family, runs)
-                shard, family, runs = row["shard"], Family(shape), []
-            suffixes = np.frombuffer(row["keys"], shape.kind)
-            runs.append((row["batch"], family.add(suffixes, _unbits(row["several"], len(suffixes))), family.sizes(suffixes)))
-        yield from answers(shard, family, runs)
+    """One shard of suffixes: feed each batch's array to the shard's family, then tell all how far matches reach."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        family, runs = Family(shape), []
+        batches, keys, several = (rows.column(c) for c in ("batch", "keys", "several"))
+        shard = rows.column("shard")[0].as_py()
+        order = np.argsort(batches.to_numpy(), kind="stable").tolist()
+        for i in order:
+            suffixes = np.frombuffer(keys[i].as_buffer(), shape.kind)
+            numbers = family.add(suffixes, _unbits(several[i].as_py(), len(suffixes)))
+            runs.append((numbers.astype(np.uint32), family.sizes(suffixes)))
+        del keys, rows
+        reach = [family.found(*r) for r in runs]
+        n = len(order)
+        return pa.table(
+            {
+                "batch": batches.take(pa.array(order)).cast(pa.int32()),
+                "round": pa.array([2] * n, pa.int32()),
+                "shard": pa.array([shard] * n, pa.int32()),
+                "payload": pa.array([r.tobytes() for r in reach], pa.binary()),
+                "several": pa.array([int((r[:, 1] > 0).sum()) for r in reach], pa.int64()),
+            }
+        )
 
     return run
 
@@ -543,7 +537,7 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, repl
         return _ask(rows.column(key)[0].as_py(), suffixes, shard, counts > 1)
 
     arrays = dealt.groupBy(key).cogroup(heard.groupBy("batch")).applyInArrow(second, _ASK)
-    found = scratch.cut(arrays.repartition(shards, "shard").sortWithinPartitions("shard", "batch").mapInArrow(_scan(shape), _ANSWER), "family")
+    found = scratch.cut(arrays.groupBy("shard").applyInArrow(_scan(shape), _ANSWER), "family")
     result = T.StructType([*columns, *added])
 
     def third(rows: pa.Table, answers: pa.Table) -> pa.Table:
