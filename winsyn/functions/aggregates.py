@@ -25,13 +25,18 @@ class Holistic:
     expr: Column
 
 
-def exact(c: str) -> Column:
-    """Two-decimal values as decimals: sums don't depend on their order."""
-    return F.col(c).cast("decimal(18,2)")
+def _column(c: str | Column) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
-def sum_(c: str) -> Agg:
-    return Agg((F.sum(exact(c)),), (F.sum,), lambda s: s.cast("double"))
+def mapped(agg: Agg, f: Callable[[Column], Column]) -> Agg:
+    """The same with ``f`` applied to the result."""
+    return Agg(agg.partials, agg.merges, lambda *x: f(agg.final(*x)))
+
+
+def sum_(c: str | Column) -> Agg:
+    """In the column's own type; sums of doubles depend on their order, those of decimals don't."""
+    return Agg((F.sum(_column(c)),), (F.sum,), lambda s: s)
 
 
 def count() -> Agg:
@@ -46,8 +51,8 @@ def max_(c: str) -> Agg:
     return Agg((F.max(c),), (F.max,), lambda x: x)
 
 
-def avg(c: str) -> Agg:
-    return Agg((F.sum(exact(c)), F.count(c)), (F.sum, F.sum), lambda s, n: F.round(s.cast("double") / n, 6))
+def avg(c: str | Column) -> Agg:
+    return Agg((F.sum(_column(c)), F.count(_column(c))), (F.sum, F.sum), lambda s, n: s.cast("double") / n)
 
 
 def int_mean(c: str) -> Agg:

@@ -16,38 +16,42 @@ def latest(synopses: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def query_latest(synopses: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
-    """Every query with the columns of the latest synopsis (of its key); unanswered ones keep nulls."""
+    """Every query with the latest synopsis (of its key), a row for each of its cells; unanswered ones keep nulls."""
     last = latest(synopses, keys)
     if keys:
         return queries.join(last, keys, "left")
-    return queries.join(F.broadcast(last.limit(1)), F.lit(True), "left")  # one row: a window has one synopsis
+    return queries.join(F.broadcast(last), F.lit(True), "left")  # one window's synopsis, whose size its parameters bound
 
 
 def query_timestamped(synopses: DataFrame, queries: DataFrame, keys: list[str], t: str, archive: int | None = 1000) -> DataFrame:
-    """As-of: the synopsis with the greatest window_start <= t, if t <= window_end; only the newest ``archive`` windows are kept (all if None).
+    """As-of: the synopsis with the greatest window_start <= t, if t <= window_end, a row for each of its cells; unanswered queries keep nulls.
 
-    Queries and windows of a key are merged in time order and each query takes the last window before it: one shuffle, no
-    range join. Without keys a bounded archive is broadcast; an unbounded one is merged as one key.
+    Only the newest ``archive`` windows (of a key) are asked, all if None. The time line is cut into cells no shorter than a window, so
+    a query's window starts in its cell or the one before: windows are dealt to both, and within (key, cell) each query takes the last
+    window before it in time order. Neither a key nor the lack of one makes a single task, and equal queries stay apart.
     """
-    body = F.struct(*[c for c in synopses.columns if c not in keys])
-    names = [c for c in synopses.columns if c not in keys]
-    if not keys and archive is None:
-        out = query_timestamped(synopses.withColumn("__one", F.lit(1)), queries.withColumn("__one", F.lit(1)), ["__one"], t, None)
-        return out.drop("__one")
-    if not keys:
-        kept = synopses.orderBy(F.desc("window_start")).limit(archive)
-        rows = queries.withColumn("__q", F.struct(*queries.columns))
-        best = rows.join(F.broadcast(kept.select(body.alias("__s"))), F.col("__s.window_start") <= F.col(t), "left").groupBy("__q").agg(F.max("__s").alias("__s"))
-        out = best.select("__q.*", "__s")
-    else:
-        ranked = synopses.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("window_start")))).where(F.lit(True) if archive is None else F.col("__k") <= archive)
-        left = ranked.select(*keys, F.col("window_start").alias("__t"), F.lit(0).alias("__o"), body.alias("__s"), F.lit(None).cast(queries.select(F.struct(*queries.columns).alias("q")).schema["q"].dataType).alias("__q"))
-        right = queries.select(*keys, F.col(t).alias("__t"), F.lit(1).alias("__o"), F.lit(None).cast(synopses.select(body.alias("s")).schema["s"].dataType).alias("__s"), F.struct(*queries.columns).alias("__q"))
-        order = W.partitionBy(*keys).orderBy("__t", "__o").rowsBetween(W.unboundedPreceding, 0)
-        merged = left.unionByName(right).withColumn("__s", F.last("__s", ignorenulls=True).over(order)).where("__o = 1")
-        out = merged.select("__q.*", "__s")
-    valid = F.col("__s.window_end") >= F.col(t)
-    return out.select(*queries.columns, *[F.when(valid, F.col(f"__s.{n}")).alias(n) for n in names])
+    windows = synopses.select(*keys, "window_start", "window_end").distinct()
+    if archive is not None and keys:
+        newest = W.partitionBy(*keys).orderBy(F.desc("window_start"))
+        windows = windows.withColumn("__k", F.row_number().over(newest)).where(F.col("__k") <= archive).drop("__k")
+    elif archive is not None:
+        windows = windows.orderBy(F.desc("window_start")).limit(archive)
+    step = max(1, windows.agg(F.max(F.col("window_end") - F.col("window_start"))).first()[0] or 1)
+    cell = lambda c: F.floor(c / F.lit(float(step))).cast("long")
+    own = F.struct(*queries.columns)
+    asked = queries.select(*keys, F.col(t).cast("long").alias("__t"), F.lit(1).alias("__o"), cell(F.col(t)).alias("__c"), F.lit(None).cast("struct<s:bigint,e:bigint>").alias("__w"), own.alias("__q"))
+    starts = windows.select(*keys, F.col("window_start").alias("__t"), F.lit(0).alias("__o"), F.explode(F.array(cell(F.col("window_start")), cell(F.col("window_start")) + 1)).alias("__c"), F.struct(F.col("window_start").alias("s"), F.col("window_end").alias("e")).alias("__w"))
+    merged = asked.unionByName(starts, allowMissingColumns=True)
+    order = W.partitionBy(*keys, "__c").orderBy("__t", "__o").rowsBetween(W.unboundedPreceding, 0)
+    found = merged.withColumn("__w", F.last("__w", ignorenulls=True).over(order)).where("__o = 1")
+    start = F.when(F.col("__w.e") >= F.col("__t"), F.col("__w.s"))
+    found = found.select("__q.*", start.alias("__start"))
+    body = [c for c in synopses.columns if c not in keys]
+    right = synopses.select(*[F.col(k).alias(f"__{k}") for k in keys], *[F.col(c).alias(f"__s_{c}") for c in body])
+    match = F.col("__start") == F.col("__s_window_start")
+    for k in keys:
+        match = match & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return found.join(right, match, "left").select(*queries.columns, *[F.col(f"__s_{c}").alias(c) for c in body])
 
 
 def interval_join(synopses: DataFrame, queries: DataFrame, keys: list[str], t: str, step: int) -> DataFrame:

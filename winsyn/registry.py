@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import aggregates as A
-from .operators import answers, routing, samples, synopses, wavelets
+from .operators import answers, routing, samples, synopses, wavelets, windowed
 from .plans.engine import WindowedAggregation, with_empty_windows
 from .plans.windows import Session, parse, session, sliding, tumbling
 from .sources import tables
@@ -40,9 +40,18 @@ _AGG_SQL = {
     "total": "sum(v)::DOUBLE", "n": "count(*)", "low": "min(value)", "high": "max(value)", "mean": "round(sum(v)::DOUBLE / count(value), 6)",
     "whole": "sum(trunc(value)::BIGINT)::BIGINT // count(value)", "median": "quantile_disc(value, 0.5)",
 }
+# values have two decimals: as decimals their sums don't depend on their order, in Spark and in SQL
+def _money():
+    return F.col("value").cast("decimal(18,2)")
+
+
+def _total():
+    return A.mapped(A.sum_(_money()), lambda x: x.cast("double"))
+
+
 # columns need a session, so they are made when a query is
 _AGGS = {
-    "total": lambda: A.sum_("value"), "n": A.count, "low": lambda: A.min_("value"), "high": lambda: A.max_("value"), "mean": lambda: A.avg("value"),
+    "total": lambda: _total(), "n": A.count, "low": lambda: A.min_("value"), "high": lambda: A.max_("value"), "mean": lambda: A.mapped(A.avg(_money()), lambda x: F.round(x, 6)),
     "whole": lambda: A.int_mean("value"), "median": lambda: A.quantile("value", 0.5),
 }
 
@@ -495,7 +504,7 @@ _SYN = f"WITH {EVENTS}, syn AS (SELECT event_type, t // {D} * {D} AS window_star
 
 def _synopses(spark, sf_dir, keys):
     ev = tables.events(spark, sf_dir).where(f"t div {D} % 3 <> 0")
-    out = WindowedAggregation(ev, "t", keys).window(tumbling(D)).agg(total=A.sum_("value")).run()
+    out = WindowedAggregation(ev, "t", keys).window(tumbling(D)).agg(total=_total()).run()
     return out.select(*keys, "window_start", "window_end", "total")
 
 
@@ -556,3 +565,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
+
+
+# -- synopses over sliding and count windows, from shared slices
+
+SLIDING_DAY = f"day AS (SELECT ev.*, t // {D} * {D} - k * {D} AS w FROM ev, range(3) s(k))"
+HUNDRED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS many FROM ev), day AS (SELECT *, rn // 50 * 50 - k * 50 AS w FROM ranked, range(2) s(k) WHERE rn // 50 * 50 - k * 50 >= 0 AND rn // 50 * 50 - k * 50 + 100 <= many)"
+
+
+def _over(spark, sf_dir, spec, synopsis) -> DataFrame:
+    out = windowed.over_windows(tables.events(spark, sf_dir), "t", [spec], ["event_type"], synopsis, ["event_id"])
+    return out.withColumnRenamed("window_start", "w").drop("spec", "window_end")
+
+
+@query(f"{CMS_SQL.replace(DAY, SLIDING_DAY)} SELECT * FROM cells")
+def cms_sliding(spark, sf_dir):
+    return _over(spark, sf_dir, sliding(3 * D, D), windowed.count_min("user_id", 64, 5))
+
+
+@query(f"{CMS_SQL.replace(DAY, HUNDRED)} SELECT * FROM cells")
+def cms_count_windows(spark, sf_dir):
+    return _over(spark, sf_dir, sliding(100, 50, "count"), windowed.count_min("user_id", 64, 5))
+
+
+@query(f"{DD_SQL.replace(DAY, SLIDING_DAY)} SELECT * FROM bins")
+def ddsketch_sliding(spark, sf_dir):
+    return _over(spark, sf_dir, sliding(3 * D, D), windowed.dd_sketch("value", ACC, MAX_BINS))
+
+
+@query(f"{EW_SQL.replace(DAY, SLIDING_DAY)} SELECT * FROM cells")
+def equiwidth_sliding(spark, sf_dir):
+    return _over(spark, sf_dir, sliding(3 * D, D), windowed.equi_width("value", 0.0, 500.0, 8))
+
+
+@query(f"{EW_SQL.replace(DAY, HUNDRED)} SELECT * FROM cells")
+def equiwidth_count_windows(spark, sf_dir):
+    return _over(spark, sf_dir, sliding(100, 50, "count"), windowed.equi_width("value", 0.0, 500.0, 8))

@@ -74,11 +74,11 @@ def count_windows(df: DataFrame, key: str, value: str, tie: str, size: int) -> D
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, window_start long, window_end long, sum double", "at long, filled long, total double, times array<long>, ties array<long>, vals array<double>", "append", "EventTimeTimeout")
 
 
-def answer_latest(synopses: DataFrame, queries: DataFrame, keys: list[str]):
-    """For ``queries.writeStream.foreachBatch``: each micro-batch of questions against the latest rows of a table."""
+def answer_latest(synopses: DataFrame, keys: list[str], sink):
+    """For ``questions.writeStream.foreachBatch``: ``sink`` gets each micro-batch of questions with the latest rows of a table."""
     from ..operators.answers import query_latest
 
-    def answer(batch: DataFrame, _: int, sink) -> None:
+    def answer(batch: DataFrame, _: int) -> None:
         sink(query_latest(synopses, batch, keys))
 
     return answer
