@@ -38,9 +38,9 @@ from pyspark.sql import types as T
 from .common import Scratch, table
 
 LENGTH = 200
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 FILTER_BYTES = 64 << 20  # of text for each shard of the filter
-SHARD_BYTES = 16 << 20  # of suffixes for each shard of the family
+SHARD_BYTES = 8 << 20  # of suffixes for each shard of the family
 CHUNK = 1 << 18
 MAX_SHARDS = 100_000
 
@@ -363,6 +363,7 @@ class Batch:
     """The rows of one batch, in an order that depends on nothing but them."""
 
     def __init__(self, rows: pa.Table, text: str, shape: Shape, number: str):
+        pa.default_memory_pool().release_unused()  # what the last batch has left with the worker
         self.rows = rows.sort_by(number)
         self.texts = [t or b"" for t in self.rows.column(text).cast(pa.binary()).to_pylist()]
         self.shape = shape
@@ -436,6 +437,7 @@ def _scan(shape: Shape):
     """One shard of suffixes: feed each batch's array to the shard's family, then tell all how far matches reach."""
 
     def run(rows: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         family, runs = Family(shape), []
         batches, keys, several = (rows.column(c) for c in ("batch", "keys", "several"))
         shard = rows.column("shard")[0].as_py()
