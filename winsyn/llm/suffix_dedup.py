@@ -539,7 +539,7 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, repl
         return _ask(rows.column(key)[0].as_py(), suffixes, shard, counts > 1)
 
     arrays = dealt.groupBy(key).cogroup(heard.groupBy("batch")).applyInArrow(second, _ASK)
-    found = scratch.cut(arrays.groupBy("shard").applyInArrow(_scan(shape), _ANSWER), "family")
+    found = scratch.cut(arrays.repartition(shards, "shard").groupBy("shard").applyInArrow(_scan(shape), _ANSWER), "family")
     result = T.StructType([*columns, *added])
 
     def third(rows: pa.Table, answers: pa.Table) -> pa.Table:
