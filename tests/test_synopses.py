@@ -118,3 +118,24 @@ def test_wavelet(spark):
     for i in (0, 4, 13):
         assert wavelets.range_sum(c, ["k"], 0, i, levels).first().total == sum(v[: i + 1])
     assert wavelets.threshold(c, ["k"], 3, levels).count() == 4
+
+
+@pytest.mark.parametrize("by", [[], ["part"]])
+def test_equi_depth_from_sketch_and_sample(spark, by):
+    rnd = random.Random(5)
+    values = [int(rnd.expovariate(0.002)) for _ in range(3000)]
+    df = ints(spark, values, 2)
+    groups = {(k,) if by else (): sorted(v for i, v in enumerate(values) if not by or i % 2 == k) for k in (0, 1)}
+    bins = synopses.dd_sketch(df, by, "x", 0.01, 2048)
+    for made, slack in ((synopses.dd_equi_depth(bins, by, 10, 0.01), 0.002), (samples.sampled_equi_depth(df, by, "x", "id", 10, 500), 0.08)):
+        rows = made.collect()
+        assert len(rows) == 10 * len(groups)
+        for r in rows:
+            v = groups[tuple(r[c] for c in by)]
+            assert r.total == len(v) and abs(r.right_bound - v[-1]) <= 0.03 * v[-1]
+            # the bound, give or take the sketch's accuracy, stands near its rank
+            low, high = sum(x < r.left_bound * 0.97 for x in v) / len(v), sum(x <= r.left_bound * 1.03 for x in v) / len(v)
+            assert low - slack <= r.i / 10 <= high + slack
+        for r in synopses.equi_depth_range(made, by, 100.0, 900.0).collect():
+            v = groups[tuple(r[c] for c in by)]
+            assert abs(r.estimate - sum(100 <= x <= 900 for x in v)) < 0.1 * len(v)

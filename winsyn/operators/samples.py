@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .synopses import raw_hash
+from .synopses import equi_depth, raw_hash
 
 
 def _best(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -40,3 +40,12 @@ def stratified(df: DataFrame, by: list[str], stratum: str, id_: str, n: int, see
     sample = reservoir(df, [*by, stratum], id_, n, seed)
     counts = df.groupBy(*by, stratum).agg(F.count("*").alias("seen"))
     return sample.join(counts, [*by, stratum]).withColumn("weight", F.greatest(F.col("seen") / n, F.lit(1.0)))
+
+
+def sampled_equi_depth(df: DataFrame, by: list[str], v: str, id_: str, n: int, size: int, seed: int = 1) -> DataFrame:
+    """(by, i, left_bound, right_bound, total), as ``equi_depth`` has it: inner boundaries from a reservoir of ``size`` rows, ends and total from all rows."""
+    known = df.where(F.col(v).isNotNull())
+    inner = equi_depth(reservoir(known, by, id_, size, seed), by, v, n).drop("right_bound", "total")
+    ends = known.groupBy(*by).agg(F.min(v).cast("double").alias("low"), F.max(v).alias("right_bound"), F.count("*").alias("total"))
+    both = inner.join(ends, by) if by else inner.join(F.broadcast(ends))  # one row
+    return both.select(*by, "i", F.when(F.col("i") == 0, F.col("low")).otherwise(F.col("left_bound")).alias("left_bound"), "right_bound", "total")

@@ -184,6 +184,18 @@ def dd_quantile(bins: DataFrame, by: list[str], q: float, accuracy: float) -> Da
     return hit.select(*by, F.when(F.col("s.bin").isNull(), 0.0).otherwise(F.pow(F.lit(gamma), F.col("s.bin")) * (1 + accuracy)).alias("quantile"))
 
 
+def dd_equi_depth(bins: DataFrame, by: list[str], n: int, accuracy: float) -> DataFrame:
+    """(by, i, left_bound, right_bound, total), as ``equi_depth`` has it, from the quantiles i / n of a DDSketch."""
+    order = W.partitionBy(*by).orderBy(F.asc_nulls_first("bin"))
+    run = bins.withColumn("upto", F.sum("cnt").over(order)).withColumn("total", F.sum("cnt").over(W.partitionBy(*by)))
+    ranked = run.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n).cast("long"))).alias("i"))
+    rank = F.floor(F.col("i") * (F.col("total") - 1) / n)
+    value = F.when(F.col("bin").isNull(), 0.0).otherwise(F.pow(F.lit(dd_gamma(accuracy)), F.col("bin")) * (1 + accuracy))
+    cuts = ranked.where((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("cnt"))).select(*by, "i", value.alias("left_bound"), "total")
+    last = F.max(F.when(F.col("i") == n, F.col("left_bound"))).over(W.partitionBy(*by))
+    return cuts.withColumn("right_bound", last).where(F.col("i") < n).select(*by, "i", "left_bound", "right_bound", "total")
+
+
 # -- Fast-AGMS
 
 def agms(df: DataFrame, by: list[str], x: str, width: int, rows: int, seed: int = 1) -> DataFrame:
