@@ -69,3 +69,11 @@ def test_sequences_with_gaps_to_the_right(spark):
     df = spark.createDataFrame([(0, 4.0), (2, 6.0), (3, 2.0), (4, 8.0)], "idx long, v double").withColumn("k", F.lit(1))
     got = {r.idx: r.value for r in wavelets.point(wavelets.haar(df, ["k"], "idx", "v", 3), df, ["k"], 3).collect()}
     assert got == {0: 4.0, 2: 6.0, 3: 2.0, 4: 8.0}
+
+
+def test_distributed_query_has_a_plan_of_layers(spark):
+    from winsyn import registry
+
+    sf = "/root/testdata/sf0.001"
+    plan = registry.queries()["haar_distributed"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Aggregate") < 40
