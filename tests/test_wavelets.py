@@ -77,3 +77,19 @@ def test_distributed_query_has_a_plan_of_layers(spark):
     sf = "/root/testdata/sf0.001"
     plan = registry.queries()["haar_distributed"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("Aggregate") < 40
+
+
+def test_distributed_query_does_not_repeat_its_layers(spark):
+    from winsyn import registry
+
+    sf = "/root/testdata/sf0.001"
+    plan = registry.queries()["haar_distributed"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Generate") < 20 and "Window" not in plan
+
+
+def test_written_layers_are_the_same(spark):
+    from winsyn.scratch import Scratch
+
+    _, df = sequences(spark, [1000, 3])
+    made = [{tuple(r) for r in wavelets.haar(df, ["k"], "idx", "v", 10, s).collect()} for s in (None, Scratch(spark, "haar"))]
+    assert made[0] == made[1]

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
 STEP = 8  # levels of a layer
 
 
@@ -49,11 +51,12 @@ def _pairs(nodes):
     return F.transform(F.sequence(F.lit(0), ((F.size(nodes) - 1) / 2).cast("int")), pair)
 
 
-def haar(df: DataFrame, by: list[str], idx: str, v: str, levels: int) -> DataFrame:
+def haar(df: DataFrame, by: list[str], idx: str, v: str, levels: int, scratch: Scratch | None = None) -> DataFrame:
     """(by, level, node, coeff, leaves_left, leaves_right) and, at ``level`` = ``levels``, each root's average as ``coeff``.
 
     ``levels``: at least the binary logarithm of the longest sequence. ``STEP`` levels at a time are computed within arrays of up to
-    2 ** ``STEP`` neighbours, so that the plan has one shuffle for each such layer and not one for each level.
+    2 ** ``STEP`` neighbours, so that the plan has one shuffle for each such layer and not one for each level. With ``scratch`` each layer
+    is written once, so that the plan of the result, which reads every layer, does not repeat those below it.
     """
     cur = df.select(*by, F.col(idx).cast("long").alias("node"), F.col(v).cast("double").alias("a"), F.lit(1).cast("long").alias("n"))
     out = []
@@ -65,9 +68,11 @@ def haar(df: DataFrame, by: list[str], idx: str, v: str, levels: int) -> DataFra
             block = _held(block, **{f"level_{k + 1}": _pairs(F.col(f"level_{k}"))})
         node = lambda k: lambda p: F.struct(F.lit(first + k).alias("level"), (F.shiftleft("block", many - k - 1) + p["at"]).alias("node"), (p["l"] - p["a"]).alias("coeff"), p["nl"].alias("leaves_left"), p["nr"].alias("leaves_right"))
         made = [F.transform(F.filter(f"level_{k + 1}", lambda p: p["r"].isNotNull()), node(k)) for k in range(many)]
-        out.append(block.select(*by, F.inline(F.concat(*made))))
         top = F.get(f"level_{many}", F.lit(0))
-        cur = block.select(*by, F.col("block").alias("node"), top["a"].alias("a"), top["n"].alias("n"))
+        block = block.select(*by, "block", F.concat(*made).alias("made"), top["a"].alias("a"), top["n"].alias("n"))
+        block = scratch.cut(block, f"layer-{first}") if scratch else block
+        out.append(block.select(*by, F.inline("made")))
+        cur = block.select(*by, F.col("block").alias("node"), "a", "n")
     out.append(cur.select(*by, F.lit(levels).alias("level"), "node", F.col("a").alias("coeff"), F.col("n").alias("leaves_left"), F.lit(0).cast("long").alias("leaves_right")))
     return reduce(lambda a, b: a.unionByName(b), out)
 

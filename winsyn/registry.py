@@ -12,6 +12,7 @@ from .functions import aggregates as A
 from .operators import answers, routing, samples, synopses, wavelets, windowed
 from .plans.engine import WindowedAggregation, with_empty_windows
 from .plans.windows import Session, parse, session, sliding, tumbling
+from .scratch import Scratch
 from .sources import tables
 
 H, D = 3_600_000, 86_400_000
@@ -492,9 +493,11 @@ def haar_synopsis(spark, sf_dir):
 def haar_distributed(spark, sf_dir):
     """Four wavelets by turns for each type."""
     seq = routing.round_robin(tables.events(spark, sf_dir), "t", ["event_type"], ["event_id"], 4).select("event_type", "part", F.col("local").alias("idx"), "value")
-    by = ["event_type", "part"]
+    by, scratch = ["event_type", "part"], Scratch(spark, "haar")
+    # ranked and written once: the wavelet, its height and the questions all read it
+    seq = scratch.cut(seq, "sequences")
     levels = wavelets.levels_of(seq, "idx")
-    return wavelets.point(wavelets.haar(seq, by, "idx", "value", levels), seq.select(*by, "idx"), by, levels).withColumn("value", F.round("value", 4))
+    return wavelets.point(wavelets.haar(seq, by, "idx", "value", levels, scratch), seq.select(*by, "idx"), by, levels).withColumn("value", F.round("value", 4))
 
 
 # -- query answering: synopses are day windows; questions are events of one kind
