@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import give_back, table
 
 PER_LANGUAGE, ROUNDS = 500, 3
 KEEP, CELLS = 600_000, 1 << 18  # words that a worker remembers, cells of a lattice
@@ -208,6 +208,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     out = frame.withColumn("lang_pred", F.lit(None).cast("string")).withColumn("score", F.lit(None).cast("double")).schema
 
     def run(batches):
+        give_back()
         own = model
         for b in batches:
             for lo in range(0, b.num_rows, 512):

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, give_back, held, table
 
 WINDOW, UNIT, DEPTH, END = 4096, 16, 3, 2
 BLOCK, PER_SALT, CACHE = 20_000, 500_000, 800_000
@@ -88,6 +88,9 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
+held(_words.cache_clear)
+
+
 def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
     """Non-increasing lengths with sum ``units``: at most ``depth`` parts, or one length several times and at most one shorter or longer part."""
     out = [tuple(sorted([p] * n + ([units - n * p] if units > n * p else []), reverse=True)) for p in range(1, units // depth + 1) for n in range(depth, units // p + 1)]
@@ -185,6 +188,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "tex
     id_type = df.schema[id_col].dataType.simpleString()
 
     def cut(batches):
+        give_back(but=_words.cache_clear)
         words = _words(tokenizer)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
@@ -248,6 +252,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "tex
     order = Window.partitionBy("bin", "salt").orderBy(id_col, "start", "ids_crc32", "length", "doc_tokens")
     ranked = salted.withColumn("rank", F.row_number().over(order).cast("long"))
     placed = scratch.cut(ranked.mapInArrow(place, schema + ", sequence_id long, slot long"), "placed")
+    scratch.drop(pieces)
     before = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     planned = placed.where("sequence_id is not null").withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0))).drop("slot")
     rest = placed.where("sequence_id is null").drop("sequence_id", "slot")
