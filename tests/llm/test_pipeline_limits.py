@@ -22,7 +22,7 @@ def test_counts_of_letters_leave_out_no_similar_pair(spark):
     counted = lines._counted(spark.createDataFrame([(k, x, len(x)) for k, x in enumerate(texts)], "hash long, line string, size int")).localCheckpoint()
     both = lines._of(counted, "a").crossJoin(lines._of(counted, "b")).where("a < b")
     alike = {(r.a, r.b) for r in both.where(lines._alike()).select("a", "b").collect()}
-    similar = {(a, b) for a, x in enumerate(texts) for b, y in enumerate(texts) if a < b and levenshtein(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)}
+    similar = {(a, b) for a, x in enumerate(texts) for b, y in enumerate(texts) if a < b and abs(len(x) - len(y)) <= 0.2 * max(len(x), len(y)) and levenshtein(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)}
     assert len(similar) > 10 and similar <= alike
     assert (len(texts) - 2, len(texts) - 1) not in alike
 
